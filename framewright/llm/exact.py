@@ -64,6 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = tested.where("__maybe")
     first = F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__row").alias("row")))
     groups = some.groupBy("__sha").agg(first.alias("__first"), F.count(F.lit(1)).alias("__n"))
+    groups = durable(groups, "exact-groups")  # so that adaptive skew handling sees both sides of the join
     met = some.join(groups, "__sha").select("__id", "__sha", F.col("__first.id").alias("__keep"), "__n", (F.col("__row") == F.col("__first.row")).alias("__kept"))
     return alone.unionByName(met).select(
         F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256")
