@@ -79,7 +79,7 @@ def null_key(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), c.cast("string")))
 
 
-def spread_rank(df: DataFrame, keys: list[str], total: str, tie: list[Column], seed: int, out: str, target: int = 4096) -> DataFrame:
+def spread_rank(df: DataFrame, keys: list[str], total: str, tie: list[Column], seed: int, out: str, target: int = 1024) -> DataFrame:
     """Add `out`: the row's position from 0 in its group, in seeded pseudo-random order of `tie`.
 
     keys: columns without nulls; total: column with the rows of the group.  A group is cut by hash into

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._util import durable, null_key, spread_rank
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, stratum: str | None = "source", id_col: str = "doc_id", carry: dict[str, Column] | None = None, seed: int = 17, target: int = 4096) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, stratum: str | None = "source", id_col: str = "doc_id", carry: dict[str, Column] | None = None, seed: int = 17, target: int = 1024) -> DataFrame:
     """One row per row of docs: id, stratum, the carried expressions, `shard` (0 to shards-1) and `slot` (from 0, no gaps).
 
     Only id, stratum and carried values move; texts stay where they are.  Neither a source nor the whole order
@@ -33,7 +33,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, stratum: str | None = "sour
     ).withColumn("__key", null_key(F.col("__stratum")))
     rows = durable(rows, "shard-rows")
     tie = [F.col("__id"), *[F.col(f"__c_{k}") for k in carry]]
-    per = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    per = durable(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "shard-strata")  # its size is known: no shuffle by stratum where it is small
     ranked = spread_rank(rows.join(per, "__key"), ["__key"], "__n", tie, seed, "__rank", target)
     # the fraction as an integer: (2 r + 1) / 2 n scaled to 2**31, so that equal fractions compare equal
     ranked = ranked.withColumn("__f", (F.col("__rank") * 2 + 1) / (F.col("__n") * 2))
