@@ -133,6 +133,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         least = linked.groupBy("root").agg(F.min("first").alias("component"))
         linked = linked.join(least, "root").select("fp", "component")
         classes = classes.join(linked, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("first")).alias("component"))
+        classes = durable(classes, "simhash-components")  # so that adaptive skew handling sees both sides of the last join
     else:
         classes = classes.withColumnRenamed("first", "component")
     return fp.join(classes, "fp").select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
