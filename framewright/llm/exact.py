@@ -7,29 +7,21 @@ only such rows shuffle to meet their group.  All other rows are proven unique an
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bloom import cells, filter_bits, from_cells
 from ._util import SPACE, durable
 
 #: The filter is sent to every executor: 2**28 cells are 32 MiB.  Beyond, it lets more unique rows shuffle; results stay exact.
 MOST_BITS = 1 << 28
-#: Cells of one bitmap row, as bitmap_construct_agg packs them.
-ROW_BITS = 32768
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _bit(bitmap: Column, pos: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(pos, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, (pos % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, most_bits: int = MOST_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of docs: id, keep_id (smallest id of the equal texts), group_size, kept, text_sha256.
 
     Exactly one row of a group is kept, that with the smallest id; of repeated rows with that id, the first
@@ -41,24 +33,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("__id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("__hex"))
     rows = rows.select("__id", F.unhex("__hex").alias("__sha"), F.monotonically_increasing_id().alias("__row"))
     rows = durable(rows, "exact-digests")
-    n = rows.count()
-    bits = ROW_BITS
-    while bits < min(most_bits, n * bits_per_row):
-        bits *= 2
-    cells = [F.pmod(F.xxhash64(F.lit(i), F.col("__sha")), F.lit(bits)) for i in range(hashes)]
+    bits = filter_bits(rows.count(), bits_per_row, most_bits)
+    key = F.xxhash64("__sha")
 
-    # pass 1: cells that two rows hit, as rows of 32768 bits
-    hit = rows.select(F.explode(F.array_distinct(F.array(*cells))).alias("__cell")).groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    filter_rows = hit.groupBy(F.expr(f"__cell div {ROW_BITS}").alias("__at")).agg(F.bitmap_construct_agg((F.col("__cell") % ROW_BITS)).alias("__bits"))
-    filter_rows = durable(filter_rows, "exact-filter")  # at most bits / 8 bytes
+    # pass 1: cells that two rows hit
+    hit = rows.select(F.explode(F.array_distinct(F.array(*cells(key, bits)))).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = from_cells(hit.select("cell"), bits, "exact-filter")
 
     # pass 2: rows all of whose cells are set
-    tested = rows
-    for i, cell in enumerate(cells):
-        part = F.broadcast(filter_rows.select(F.col("__at").alias(f"__at{i}"), F.col("__bits").alias(f"__bits{i}")))
-        tested = tested.withColumn(f"__at{i}", F.expr("1L") * F.floor(cell / ROW_BITS)).join(part, f"__at{i}", "left")
-    maybe = reduce(lambda a, b: a & b, [_bit(F.col(f"__bits{i}"), cell % ROW_BITS) for i, cell in enumerate(cells)])
-    tested = durable(tested.select("__id", "__sha", "__row", maybe.alias("__maybe")), "exact-tested")
+    tested = durable(twice.maybe(rows, key, "__maybe"), "exact-tested")
 
     alone = tested.where(~F.col("__maybe")).select("__id", "__sha", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__n"), F.lit(True).alias("__kept"))
     some = tested.where("__maybe")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, mix, shard, simhash
+from . import decontam, exact, mix, shard, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"), k=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_mix": op5_mix,
+    "op6_substring": op6_substring,
     "op8_shard": op8_shard,
 }
 
@@ -68,4 +73,12 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM t""",
+    "op6_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        first AS (SELECT g, min(doc_id) AS src FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (g) WHERE doc_id > src) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [w[i] for i in range(1, len(w) + 1) if NOT list_contains(ps, i)] END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)""",
 }
