@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, mix, shard, simhash, substring
+from . import chat, decontam, exact, mix, shard, simhash, substring, warc
+from ._util import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,14 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"), k=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    out = warc.read_warc(spark, path)
+    page = F.when(F.col("record_id") != "", F.col("record_id")).cast("long")
+    return out.where("kind = 'record'").select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_mix": op5_mix,
     "op6_substring": op6_substring,
+    "op7_warc": op7_warc,
     "op8_shard": op8_shard,
 }
 
@@ -112,4 +122,13 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
                sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [w[i] for i in range(1, len(w) + 1) if NOT list_contains(ps, i)] END, ' ')) AS kept_sha256
         FROM d LEFT JOIN gone USING (doc_id)""",
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        f AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((((strpos('0123456789abcdef', substr(hex, CAST(floor(i * 5 / 4) AS BIGINT) + 1, 1)) - 1) * 16
+                   + greatest(strpos('0123456789abcdef', substr(hex || '0', CAST(floor(i * 5 / 4) AS BIGINT) + 2, 1)) - 1, 0)) >> CAST(3 - (i * 5) % 4 AS BIGINT)) & 31 AS BIGINT) + 1, 1) for i in range(0, 32)], '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
 }
