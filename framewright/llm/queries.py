@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, mix, shard, simhash, substring, warc
+from . import chat, decontam, exact, mix, shard, simhash, substring, toxicity, warc
 from ._util import new_path
 
 
@@ -72,6 +72,10 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring": op6_substring,
     "op7_warc": op7_warc,
     "op8_shard": op8_shard,
+    "op9_toxicity": op9_toxicity,
 }
 
 _CHAT_MARKS = r"\|(?:turn|body|end|im_start|im_end|endoftext|user|assistant|system)\|>|/?s>"
