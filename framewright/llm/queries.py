@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, mix, shard, simhash, substring, toxicity, warc
+from . import chat, decontam, exact, license, mix, shard, simhash, substring, toxicity, warc
 from ._util import new_path
 
 
@@ -76,6 +76,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents")).drop("licences")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_shard": op8_shard,
     "op9_toxicity": op9_toxicity,
+    "op10_license": op10_license,
 }
 
 _CHAT_MARKS = r"\|(?:turn|body|end|im_start|im_end|endoftext|user|assistant|system)\|>|/?s>"
