@@ -39,16 +39,16 @@ def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, seed: int = 42, carry: str | None = None) -> DataFrame:
+    """(id, fp, and carry, a long): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["__id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], ["__id", "fp", "carry"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary")).mapInArrow(run, f"__id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary"), (F.col(carry) if carry else F.lit(0)).cast("long")).mapInArrow(run, f"__id {kind}, fp long, carry long")
 
 
 def ring(distance: int) -> list[int]:
@@ -114,8 +114,9 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of docs: id, `fingerprint` (16 hex digits) and `component_id`, the smallest id that links reach.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, words: int = 3, seed: int = 42, carry: str | None = None) -> DataFrame:
+    """One row per row of docs: id, `fingerprint` (16 hex digits), `component_id`, the smallest id that links reach, and
+    `component`, a number that names the component even where ids repeat.  carry: a long column to pass on.
 
     Texts are lower-cased (A-Z) and cut at 0x20 and 0x09 to 0x0D.  Fewer words than a shingle: the whole
     sequence is the shingle.  Null, empty and blank texts: fingerprint zero, linked like any other.  Null ids:
@@ -125,15 +126,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if distance not in (0, 1, 2):
         raise ValueError("distance must be 0, 1 or 2")
-    fp = durable(fingerprints(docs, id_col, text_col, words, seed), "simhash-fp")
+    fp = durable(fingerprints(docs, id_col, text_col, words, seed, carry), "simhash-fp")
     classes = durable(fp.groupBy("fp").agg(F.min("__id").alias("first")), "simhash-classes")
     if distance:
         roots = durable(components(links(classes.select("fp"), distance)), "simhash-roots")
         linked = roots.join(classes, roots["node"] == classes["fp"]).select("fp", "root", "first")
         least = linked.groupBy("root").agg(F.min("first").alias("component"))
-        linked = linked.join(least, "root").select("fp", "component")
-        classes = classes.join(linked, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("first")).alias("component"))
+        linked = linked.join(least, "root").select("fp", "root", "component")
+        classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNotNull(), F.col("component")).otherwise(F.col("first")).alias("component"))
         classes = durable(classes, "simhash-components")  # so that adaptive skew handling sees both sides of the last join
     else:
-        classes = classes.withColumnRenamed("first", "component")
-    return fp.join(classes, "fp").select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+        classes = classes.select("fp", F.col("fp").alias("root"), F.col("first").alias("component"))
+    return fp.join(classes, "fp").select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"), F.col("root").alias("component"), *([F.col("carry").alias(carry)] if carry else []))
