@@ -56,7 +56,7 @@ _ASCII = np.array([0 if c in b" \t\n\r\x0b\x0c" else (c | 32) - 96 if 65 <= (c &
 _WORDS = re.compile(r"[^\W\d_]+")
 _JUNK = re.compile(r"([^\w\s])\1+")
 _EDGES = re.compile(r"^[^\w@$€£¢¡|+(<*#]+|[^\w@$€£¢|+*#!]+$")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<![^\W_])\S(?:[ \t]\S){2,}(?![^\W_])")
 
 
 def symbols(text: str) -> np.ndarray:
