@@ -54,6 +54,9 @@ FEATURES = 2_000
 _LOOKALIKES = str.maketrans(LOOKALIKES)
 _ASCII = np.array([0 if c in b" \t\n\r\x0b\x0c" else (c | 32) - 96 if 65 <= (c & ~32) <= 90 else 27 for c in range(128)], dtype=np.int32)
 _WORDS = re.compile(r"[^\W\d_]+")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_LOOKALIKE = re.compile("[" + "".join(LOOKALIKES) + "]")
+_AROUND = ".,;:?\"'()[]{}|"
 _JUNK = re.compile(r"([^\w\s])\1+")
 _EDGES = re.compile(r"^[^\w@$€£¢¡|+(<*#]+|[^\w@$€£¢|+*#!]+$")
 _SPACED = re.compile(r"(?<![^\W_])\S(?:[ \t]\S){2,}(?![^\W_])")
@@ -155,20 +158,28 @@ class Restorer:
         """Words of the restored text; and restored runs of spaced letters, in which a word may start anywhere."""
         text = (text or "").lower()
         if not text.isascii():
-            text = unicodedata.normalize("NFKC", text).translate(_LOOKALIKES).lower()
-        out, runs = set(_WORDS.findall(text)), set()
-        tokens = set(text.split())
-        triple = [c * 3 for c in set(text) if c.isalpha() and c * 3 in text]
-        for t in tokens:
-            if not t.isalpha():
-                t = _EDGES.sub("", _JUNK.sub("", t))
-                if not t or t.isdigit():
-                    continue
-                if not t.isalpha():
-                    if any(c.isalpha() for c in t):
-                        out.update(self.decode(t))
-                    continue
-            if triple and any(x in t for x in triple):
+            if not unicodedata.is_normalized("NFKC", text):
+                text = unicodedata.normalize("NFKC", text).lower()
+            if _LOOKALIKE.search(text):
+                text = text.translate(_LOOKALIKES)
+        tokens, runs = set(text.split()), set()
+        odd = [t for t in tokens if not t.isalpha()]
+        out, rest = tokens.difference(odd), []
+        for t in odd:
+            bare = t.strip(_AROUND)
+            if bare.isalpha():
+                out.add(bare)
+            else:
+                rest.append(t)
+        for x in {c for c in set(text) if c.isalpha()} if _TRIPLE.search(text) else ():
+            x *= 3
+            if x in text:
+                for t in [t for t in out if x in t]:
+                    out.update(self.decode(t))
+        out.update(_WORDS.findall(" ".join(rest)))
+        for t in rest:
+            t = _EDGES.sub("", _JUNK.sub("", t))
+            if any(c.isalpha() for c in t) and (not t.isalpha() or _TRIPLE.search(t)):
                 out.update(self.decode(t))
         for m in _SPACED.finditer(text) if " " in text else ():
             t = "".join(m[0].split())
