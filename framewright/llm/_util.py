@@ -41,15 +41,29 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/framewright/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker while a durable table is written.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs only the tasks that ran on it, and several later steps
+    Texts go to Python in batches of BATCH_BYTES, so that workers stay small however long documents are; the session's
+    own setting comes back afterwards.  This cuts the lineage: a lost executor costs only the tasks that ran on it, and several later steps
     read the table without computing it again.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._framewright_path = path
     return out

@@ -1,7 +1,7 @@
 """Substring dedup over a compacted de Bruijn graph of words.
 
 Every window of k words is an edge.  To keep the graph small, a first pass counts the windows' minimizers (the
-smallest hash of five consecutive words in the window, which equal windows share): windows whose minimizer occurs
+smallest hash of seven consecutive words in the window, which equal windows share): windows whose minimizer occurs
 in one document only are unique and make no edge.  The other windows become edges with their coordinates
 (document, position); joining each with its first source turns a document's edges into runs that advance with the
 source, edge by edge.  These nonbranching runs are compacted into spans (start, stop, source, source start).  An
@@ -23,7 +23,7 @@ from . import _bloom
 from ._util import durable
 
 #: Words of a minimizer; it must be less than a window.
-MINIMIZER = 5
+MINIMIZER = 7
 #: Bits of a minimizer's hash that are kept.  Chance repeats only add edges to look at.
 KEPT = np.uint64((1 << 48) - 1)
 #: The filter of repeated minimizers that Python workers hold: 2**30 bits are 128 MiB.  Beyond, more windows make edges.
@@ -93,7 +93,7 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
 
 
 def edges(docs: DataFrame, repeated: np.ndarray, k: int) -> DataFrame:
-    """(h1, h2, id, key, pos) of every window whose minimizer is possibly repeated."""
+    """(h1, h2, id, key, pos, fresh) of every window whose minimizer is possibly repeated; fresh: the first like it in its document."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,10 @@ def edges(docs: DataFrame, repeated: np.ndarray, k: int) -> DataFrame:
                 h = _hashes(tokens)
                 at = np.flatnonzero(_bloom.test(shared.value, _minimizers(h, k)))
                 if len(at):
-                    rows.append((i, at, _grams(h, k, _A)[at], (_grams(h, k, _B)[at] >> np.uint64(32)).astype(np.uint32)))
+                    h1 = _grams(h, k, _A)[at]
+                    fresh = np.zeros(len(at), dtype=bool)
+                    fresh[np.unique(h1, return_index=True)[1]] = True
+                    rows.append((i, at, h1, (_grams(h, k, _B)[at] >> np.uint64(32)).astype(np.uint32), fresh))
                     held += len(at)
                 if held > 200_000:
                     yield out(b, rows)
@@ -116,10 +119,10 @@ def edges(docs: DataFrame, repeated: np.ndarray, k: int) -> DataFrame:
 
     def out(b: pa.RecordBatch, rows) -> pa.RecordBatch:
         take = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))
-        cols = [np.concatenate([r[j] for r in rows]) for j in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(cols[0].astype(np.int32))], ["h1", "h2", "id", "key", "pos"])
+        cols = [np.concatenate([r[j] for r in rows]) for j in (1, 2, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(cols[0].astype(np.int32)), pa.array(cols[3])], ["h1", "h2", "id", "key", "pos", "fresh"])
 
-    return docs.mapInArrow(run, f"h1 long, h2 int, id {docs.schema['id'].dataType.simpleString()}, key int, pos int")
+    return docs.mapInArrow(run, f"h1 long, h2 int, id {docs.schema['id'].dataType.simpleString()}, key int, pos int, fresh boolean")
 
 
 def _rebuilt(found: DataFrame, k: int, id_type: str, with_text: bool) -> DataFrame:
@@ -192,11 +195,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     e = durable(edges(k_rows, repeated.array(), k), "substring-edges")
 
     # the first source of each edge; edges of one document only are not kept
-    at = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("pos").alias("pos"))
-    first = e.groupBy("h1", "h2").agg(F.min(at).alias("s"), F.max(F.col("id").isNull()).alias("nulls"), F.max("id").alias("last"))
-    first = first.where("s.id is not null and (nulls or last > s.id)").select("h1", "h2", F.col("s.id").alias("src"), F.col("s.pos").alias("src_pos"))
+    # (minima of numbers, so that they are gathered in a hash table and not by sorting)
+    first = e.where("fresh").groupBy("h1", "h2").agg(F.min("id").alias("src"), F.min_by("pos", "id").alias("src_pos"), F.max(F.col("id").isNull()).alias("nulls"), F.max("id").alias("last"))
+    first = first.where("src is not null and (nulls or last > src)").select("h1", "h2", "src", "src_pos")
     first = durable(first, "substring-sources")
-    hits = e.join(first, ["h1", "h2"]).where("id is null or id > src")
+    hits = e.drop("fresh").join(first, ["h1", "h2"]).where("id is null or id > src")
     hits = hits.groupBy("id", "key").agg(F.collect_set(F.struct("pos", "src", "src_pos")).alias("edges"))
     hits = durable(hits, "substring-hits")  # one row per document that loses words; a list is bounded by its document
 
@@ -205,6 +208,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = lose.maybe(src, doc, "maybe").where("maybe").select("id", "key", "text")
     same = (texts["id"].eqNullSafe(hits["id"])) & (texts["key"] == hits["key"])
     changed = _rebuilt(texts.join(hits, same).select(texts["id"], "text", "edges"), k, kind, False)
+    changed = durable(changed, "substring-changed")
 
     spans = f"array<struct<start: bigint, stop: bigint, source: {kind}, source_start: bigint>>"
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), F.col("first").alias("source"), F.lit(0).cast("long").alias("source_start"))).cast(spans)
