@@ -38,7 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/framewright/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/framewright/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all durable tables of this application; DataFrames that still read them must not be used any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/framewright/{spark.sparkContext.applicationId}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker while a durable table is written.

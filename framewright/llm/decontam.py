@@ -129,8 +129,8 @@ def _match(term: np.ndarray, pos: np.ndarray, bases: np.ndarray, size: int, plan
             close = _survivors(starts, lists[1:], slack)
             if not len(close):
                 continue
-            doc = np.searchsorted(bases, close, side="right") - 1
-            near.append((w, np.unique(doc[doc >= 0])))
+            # the rarest term stands in the document; with slack, the window's start may lie before it
+            near.append((w, np.unique(np.searchsorted(bases, close + offset, side="right") - 1)))
             hit = _survivors(close, lists[1:], 0) if slack else close
             if len(hit):
                 np.add.at(cover, hit, 1)
@@ -152,7 +152,6 @@ def match(index: DataFrame, win: Windows, counts: np.ndarray, n: int, slack: int
 
     def chunk(ids, n_words, terms, reps, gaps, t_len, p_len):
         p = plan.value
-        p_first = np.cumsum(p_len) - p_len
         bases = np.cumsum(n_words + gap) - n_words  # each document stands behind a gap that no window crosses
         term = np.repeat(terms, reps)
         # steps to positions: a running sum within each (document, term) list
@@ -160,7 +159,6 @@ def match(index: DataFrame, win: Windows, counts: np.ndarray, n: int, slack: int
         starts = np.cumsum(reps) - reps
         carried = np.where(starts > 0, total[starts - 1], 0) if len(starts) else np.zeros(0, np.int64)
         pos = total - np.repeat(carried, reps) + np.repeat(bases, p_len)
-        del p_first
         size = int(bases[-1] + n_words[-1] + gap)
         hit, exact, near = _match(term, pos, bases, size, p, slack)
         items, close = [set() for _ in ids], [set() for _ in ids]

@@ -48,6 +48,10 @@ def test_proximity_includes_exact_and_reaches_further(spark):
     near = {r.doc_id: set(r.near_items) for r in got}
     assert 2 in near[9]
     assert all(set(r["items"]) <= set(r.near_items) for r in got)
+    # the window would start before its document, where the rarest word stands first
+    docs = spark.createDataFrame([(1, "nothing here"), (2, "zeta eta delta eps"), (3, "delta eps eta")], "doc_id long, text string").coalesce(1)
+    item = spark.createDataFrame([(1, "delta eps zeta eta"), (2, "alpha eps zeta eta")], "item_id int, text string")
+    assert {r.doc_id: r.near_items for r in decontaminate(docs, item, n=4, slack=4).collect()} == {1: [], 2: [1], 3: []}
     assert all(set(r["items"]) == set(r.near_items) for r in run(spark, slack=0)[0])
 
 
