@@ -189,9 +189,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = _bloom.from_keys(counts, F.col("m"), counts.count(), "substring-filter", 16, most_bits)
 
     doc = F.xxhash64("id", "key")
-    originals = narrow.where("not copy").select("id", "key")
-    some = _bloom.from_keys(originals, doc, originals.count(), "substring-originals")
-    k_rows = some.maybe(src, doc, "maybe").where("maybe").select("id", "key", "text")
+    # copies make no edges: texts that the filter takes for copies meet the exact list of them, all others pass straight through
+    copied = narrow.where("copy").select("id", "key")
+    tested = _bloom.from_keys(copied, doc, copied.count(), "substring-copied").maybe(src, doc, "maybe")
+    perhaps = tested.where("maybe").select("id", "key", "text")
+    perhaps = perhaps.join(copied, (perhaps["id"].eqNullSafe(copied["id"])) & (perhaps["key"] == copied["key"]), "left_anti")
+    k_rows = tested.where("not maybe").select("id", "key", "text").unionByName(perhaps)
     e = durable(edges(k_rows, repeated.array(), k), "substring-edges")
 
     # the first source of each edge; edges of one document only are not kept

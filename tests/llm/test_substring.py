@@ -63,3 +63,13 @@ def test_saturated_filter_and_empty_table(spark):
     got = substring_dedup(df, most_bits=32768).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute(rows, 13)
     assert substring_dedup(df.where("false")).collect() == []
+
+
+def test_one_row_each_when_filters_let_everything_through(spark, monkeypatch):
+    from framewright.llm import _bloom
+
+    monkeypatch.setattr(_bloom.Bloom, "maybe", lambda self, df, key, out: df.withColumn(out, F.lit(True)))
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [*((i, text) for i in range(6)), (None, text), (3, text), (7, text + " tail"), (8, "something else " * 9), (9, None)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=13).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute(rows, 13)
