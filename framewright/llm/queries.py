@@ -19,8 +19,8 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     c = c.unionByName(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
-    # each row is an event of its own message, so rows with one turn number stay apart
-    events = c.select("conv_id", F.struct("turn", "role", "text").alias("msg"), F.col("turn").alias("seq"), F.lit(chat.EDIT).alias("kind"), "role", "text")
+    # each row is an event of its own message, so rows with one turn number and rows that repeat exactly stay apart
+    events = c.select("conv_id", F.struct("turn", "role", "text", F.monotonically_increasing_id().alias("row")).alias("msg"), F.col("turn").alias("seq"), F.lit(chat.EDIT).alias("kind"), "role", "text")
     out = chat.read_back(chat.format_chats(events, ["conv_id"]))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
