@@ -77,7 +77,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan(table(spark, sf_dir, "documents")).drop("licences")
+    return license.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
