@@ -26,8 +26,9 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC, _START = b"\x1f\x8b\x08", re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _PAD = re.compile(rb"\x00*")
-#: Longest header block that is looked at.
-MOST_HEADER = 1 << 20
+_VERSION_LINE = re.compile(rb"WARC/1\.\d+\r\n")
+#: A header ends at an empty line, however long it is; the next version line shows that its end is lost.
+_HEADER_STOP = re.compile(rb"\r\n(?:\r\n|WARC/1\.\d+\r\n)")
 
 
 def digest(raw: bytes) -> str:
@@ -74,11 +75,13 @@ class Damaged(Exception):
 
 def parse(buf: bytes, at: int) -> Piece:
     """The record that starts at `at`; raises Damaged unless it is whole and its block digest holds."""
-    if not re.compile(rb"WARC/1\.\d+\r\n").match(buf, at):
+    version = _VERSION_LINE.match(buf, at)
+    if not version:
         raise Damaged("no version line")
-    end = buf.find(b"\r\n\r\n", at, at + MOST_HEADER)
-    if end < 0:
+    found = _HEADER_STOP.search(buf, version.end() - 2)
+    if not found or found[0] != b"\r\n\r\n":
         raise Damaged("header does not end")
+    end = found.start()
     headers: dict[str, str] = {}
     for line in buf[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")

@@ -71,3 +71,17 @@ def test_min_bytes_and_empty(spark, tmp_path):
     assert {r.record_type for r in warc.read_warc(spark, f"file://{tmp_path}/b").collect()} == {"response"}
     warc.write_warc(df.where("false"), f"file://{tmp_path}/c")
     assert warc.read_warc(spark, f"file://{tmp_path}/c").collect() == []
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    url = "data:text/plain," + "a b" * 700_000
+    for packed in (True, False):
+        raw = [warc.record("response", str(i), url if i == 1 else f"http://x/{i}", b"<p>", None, "2024-01-01T00:00:00Z") for i in range(3)]
+        ids, gaps = pieces(b"\0".join(warc.gzip_member(r, 6) for r in raw) if packed else b"".join(raw))
+        assert len(ids) == 3 and gaps == []
+    # a header whose end is lost costs its own record only
+    ids, gaps = pieces(raw[0] + raw[1][: 1 << 20] + b"\r\n" + raw[2])
+    assert ids == ["<urn:record:0>", "<urn:record:2>"] and len(gaps) == 1
+    warc.write_warc(spark.createDataFrame([(1, url, "<p>1</p>"), (2, "http://x", "<p>2</p>")], "page_id long, url string, html string"), f"{tmp_path}/w")
+    got = warc.read_warc(spark, f"{tmp_path}/w").collect()
+    assert sorted((r.kind, r.record_id) for r in got) == [("record", "1"), ("record", "2")]
