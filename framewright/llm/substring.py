@@ -4,8 +4,9 @@ Every window of k words is an edge.  To keep the graph small, a first pass count
 smallest hash of seven consecutive words in the window, which equal windows share): windows whose minimizer occurs
 in one document only are unique and make no edge.  The other windows become edges with their coordinates
 (document, position); joining each with its first source turns a document's edges into runs that advance with the
-source, edge by edge.  These nonbranching runs are compacted into spans (start, stop, source, source start).  An
-edge is known by 96 bits of two independent hashes, and each span is verified edge by edge at its source's coordinates.
+source, edge by edge.  These nonbranching runs are compacted into spans (start, stop, source, source start), document by
+document in Python workers and not by joins.  An edge is known by 96 bits of two independent hashes; the words at the
+source's coordinates are not read again, so a removal rests on those bits alone.
 """
 
 from __future__ import annotations
