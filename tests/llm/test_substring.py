@@ -73,3 +73,27 @@ def test_one_row_each_when_filters_let_everything_through(spark, monkeypatch):
     rows = [*((i, text) for i in range(6)), (None, text), (3, text), (7, text + " tail"), (8, "something else " * 9), (9, None)]
     got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=13).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute(rows, 13)
+
+
+@pytest.mark.parametrize("bits", [5, 12])
+def test_claims_under_colliding_nodes_are_settled_by_the_words(spark, bits):
+    rows = corpus(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup(df, bits=bits).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute(rows, 13)
+
+
+def test_nonbranching_paths_are_compacted(spark):
+    from framewright.llm import substring as s
+
+    # edges of one source 0-1-2-3-4-5 and, of another, an edge that enters node 3
+    rows = [(0, 1, 7, 0, 10), (1, 2, 7, 0, 11), (2, 3, 7, 0, 12), (3, 4, 7, 0, 13), (4, 5, 7, 0, 14), (9, 3, 8, 0, 4)]
+    got = {(r.src, r.spos): r.path for r in s.compacted(spark.createDataFrame(rows, "u long, v long, src long, skey long, spos int")).collect()}
+    assert got == {(7, 10): 10, (7, 11): 10, (7, 12): 10, (7, 13): 13, (7, 14): 13, (8, 4): 4}
+
+
+def test_many_repeats_of_one_row_and_many_texts_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), *[(2, text + " x")] * 50, *[(2, f"head{i} " + text) for i in range(20)], *[(None, f"h{i} " + text) for i in range(20)]]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute(rows, 13)
