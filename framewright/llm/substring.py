@@ -128,9 +128,10 @@ def edges(docs: DataFrame, repeated: np.ndarray, k: int, bits: int) -> DataFrame
                 if len(at):
                     nodes = _grams(h, k - 1) & kept
                     u, v = nodes[at], nodes[at + 1]
-                    order = np.lexsort((v, u))
                     fresh = np.ones(len(at), dtype=bool)
-                    fresh[order[1:]] = (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)
+                    if len(np.unique(u)) < len(u):
+                        order = np.lexsort((v, u))
+                        fresh[order[1:]] = (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)
                     rows.append((i, at, u, v, fresh))
                     held += len(at)
                 if held > BATCH_ROWS:
@@ -251,6 +252,7 @@ def failed(told: DataFrame) -> DataFrame:
     claim = told.where("what = 'claim'").select("id", "key", "start", "stop", "src", "skey", "path", "offset", "words")
     paths = told.where("what = 'path'").select(F.col("id").alias("src"), F.col("key").alias("skey"), "path", F.col("words").alias("source_words"))
     paths = paths.dropDuplicates(["src", "skey", "path"])  # rows alike in id and text tell the same
+    paths = durable(paths, "substring-path-words")  # so that adaptive skew handling sees both sides of the join
     part = F.array_join(F.slice(F.split(F.col("source_words").cast("string"), " "), F.col("offset").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int")), " ").cast("binary")
     holds = (F.col("words") == F.col("source_words")) | (F.col("words") == part)
     return claim.join(paths, ["src", "skey", "path"], "left").where(~F.coalesce(holds, F.lit(False))).select("id", "key", "start", "stop")
@@ -312,13 +314,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = _bloom.from_keys(counts, F.col("m"), counts.count(), "substring-filter", 16, most_bits).array()
     release(counts)
 
-    # copies make no edges: texts that the filter takes for copies meet the exact list of them, all others pass straight through
+    # copies make no edges, and rows alike in id and text make them once: texts that the filter takes for one of these
+    # meet the exact list of them, all others pass straight through
     doc = F.xxhash64("id", "key")
-    copied = narrow.where("copy").select("id", "key")
-    tested = _bloom.from_keys(copied, doc, copied.count(), "substring-copied").maybe(src, doc, "maybe")
+    repeats = narrow.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"), F.first("copy").alias("copy")).where("copy or n > 1").select("id", "key", "copy")
+    repeats = durable(repeats, "substring-repeats")
+    tested = _bloom.from_keys(repeats, doc, repeats.count(), "substring-repeated").maybe(src, doc, "maybe")
     perhaps = tested.where("maybe").select("id", "key", "text")
-    perhaps = perhaps.join(copied, _same(perhaps, copied), "left_anti")
-    all_edges = edges(tested.where("not maybe").select("id", "key", "text").unionByName(perhaps), repeated, k, bits)
+    known = perhaps.join(repeats, _same(perhaps, repeats), "left").select(perhaps["id"], perhaps["key"], "text", "copy")
+    once = known.where("not copy").dropDuplicates(["id", "key"]).unionByName(known.where("copy is null"))
+    all_edges = edges(tested.where("not maybe").select("id", "key", "text").unionByName(once.select("id", "key", "text")), repeated, k, bits)
     e = durable(all_edges, "substring-edges")
 
     sources = durable(first_sources(e), "substring-sources")
@@ -329,7 +334,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owned = paths.groupBy(F.col("src").alias("id"), F.col("skey").alias("key"), "path").agg(F.count(F.lit(1)).alias("n"))
     owned = owned.select("id", "key", F.lit(None).cast(hits.schema["h"].dataType).alias("h"), F.struct("path", "n").alias("o"))
     # one row per document that is a source or loses words; its lists are bounded by the document
-    lists = durable(hits.unionByName(owned).groupBy("id", "key").agg(F.collect_set("h").alias("hits"), F.collect_set("o").alias("owned")), "substring-hits")
+    lists = durable(hits.unionByName(owned).groupBy("id", "key").agg(F.collect_list("h").alias("hits"), F.collect_list("o").alias("owned")), "substring-hits")
     release(e)
     release(paths)
     told = durable(_claims(_met(src, lists, "substring-touched"), k, kind), "substring-claims")
