@@ -64,3 +64,47 @@ def test_empty_tables(spark):
     d = spark.createDataFrame(DOCS, "doc_id long, text string")
     assert all(r.n_hit == 0 for r in decontaminate(d, none).collect())
     assert decontaminate(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id int, text string")).collect() == []
+
+
+def test_an_index_serves_further_benchmarks(spark):
+    from framewright.llm import decontam
+
+    d = spark.createDataFrame(DOCS, "doc_id long, text string")
+    index = decontam.build_index(d)
+    other = [("a", "jumps over the lazy"), ("b", "nothing of it"), (None, "É ü")]
+    for items, kind in ((ITEMS, "int"), (other, "string")):
+        got = decontam.search(index, spark.createDataFrame(items, f"item_id {kind}, text string"), n=4).collect()
+        assert sorted(((r.id, r.n_words, r.n_hit, tuple(sorted(r["items"], key=repr))) for r in got), key=repr) == sorted(((i, n, h, tuple(sorted(x, key=repr))) for i, n, h, x in brute2(DOCS, items, 4)), key=repr)
+
+
+def brute2(docs, items, n):
+    out = []
+    for i, t in docs:
+        w, hit, found = toks(t), set(), set()
+        for k, x in items:
+            b = toks(x)
+            for s in range(max(1, len(b) - n + 1) if b else 0):
+                g = b[s : s + n]
+                for p in range(len(w) - len(g) + 1):
+                    if w[p : p + len(g)] == g:
+                        hit |= set(range(p, p + len(g)))
+                        found.add(k)
+        out.append((i, len(w), len(hit), found))
+    return out
+
+
+def test_windows_stay_small_and_are_put_from_the_rarest_term_on():
+    import numpy as np
+
+    from framewright.llm import decontam
+
+    rng = np.random.default_rng(1)
+    items = [(i, b" ".join(b"w%d" % x for x in rng.integers(0, 50_000, 2_000))) for i in range(50)]
+    win = decontam.windows(items, 10)
+    counts = rng.integers(1, 1000, len(win.terms))
+    win.order(counts)
+    grams, offsets, _ = win.by_length[0]
+    rows = counts[np.take_along_axis(grams, offsets, axis=1)]
+    assert (np.diff(rows, axis=1) >= 0).all() and len(win.starts) == len(grams) + 1
+    held = win.terms.nbytes + grams.nbytes + offsets.nbytes + win.starts.nbytes + win.items.nbytes
+    assert held < 110 * 100_000  # bytes a benchmark word: below 220 MB at 2 million words
