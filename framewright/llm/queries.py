@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, exact, license, mix, shard, simhash, substring, toxicity, warc
-from ._util import new_path
+from ._util import durable, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,9 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    out = warc.read_warc(spark, path)
+    out = durable(warc.read_warc(spark, path), "warc-records")
+    if warc.gap_log(out, new_path(spark, "warc-gaps")):
+        raise RuntimeError("archives that were just written have gaps")
     page = F.when(F.col("record_id") != "", F.col("record_id")).cast("long")
     return out.where("kind = 'record'").select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 

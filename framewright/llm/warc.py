@@ -2,14 +2,16 @@
 
 Writing goes through Spark's text sink, so files appear by its commit protocol on any file system that Spark reaches, and
 a lost executor leaves no half archive.  Each record is a gzip member of its own followed by one zero byte (padding
-between members, which readers of gzip pass over).  Reading takes whole archives and checks every record; where a check
-fails, it searches for the next member or version line that holds a valid record, and reports the bytes between as a gap.
+between members, which readers of gzip pass over).  Reading checks every record of an archive, whether members hold one
+record or many; where a check fails, it searches for the next member or version line that holds a valid record, and
+reports the bytes between as a gap.  Whole records at the head of a damaged member are read as well, and marked so.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -58,32 +60,50 @@ def gzip_member(raw: bytes, level: int) -> bytes:
     return z.compress(raw) + z.flush()
 
 
+#: Bytes of inflated records that wait for their member's checksum; beyond, records are given out on their block digest.
+HELD = 64 << 20
+#: Compressed bytes that a writer packs into one line of its sink, and lines of a file: archives hold about 64 MiB, and one record at least.
+PACK, PACKS = 8 << 20, 8
+
+
 @dataclass
 class Piece:
-    """A record, or a gap: bytes that no valid record covers, and why."""
+    """A record, or a gap: bytes that no valid record covers, and why.
+
+    start and stop are bytes of the archive: of the record, or of the gzip member that holds it, where offset tells the place.
+    inside: records that could be read from the head of a damaged member.
+    """
 
     start: int
     stop: int
     reason: str | None = None
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
+    offset: int = 0
+    inside: list[Piece] = field(default_factory=list)
 
 
 class Damaged(Exception):
     pass
 
 
-def parse(buf: bytes, at: int) -> Piece:
+class Short(Damaged):
+    """The record may go on behind the bytes that are there."""
+
+
+def parse(buf, at: int) -> Piece:
     """The record that starts at `at`; raises Damaged unless it is whole and its block digest holds."""
     version = _VERSION_LINE.match(buf, at)
     if not version:
-        raise Damaged("no version line")
+        raise (Short if len(buf) - at < 16 else Damaged)("no version line")
     found = _HEADER_STOP.search(buf, version.end() - 2)
-    if not found or found[0] != b"\r\n\r\n":
+    if not found:
+        raise Short("header does not end")
+    if found[0] != b"\r\n\r\n":
         raise Damaged("header does not end")
     end = found.start()
     headers: dict[str, str] = {}
-    for line in buf[at:end].split(b"\r\n")[1:]:
+    for line in bytes(buf[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
@@ -92,56 +112,110 @@ def parse(buf: bytes, at: int) -> Piece:
     if not re.fullmatch(r"\d{1,18}", length):
         raise Damaged("no content length")
     stop = end + 4 + int(length)
-    if buf[stop : stop + 4] != b"\r\n\r\n":
+    if stop + 4 > len(buf):
+        raise Short("content length does not hold")
+    if bytes(buf[stop : stop + 4]) != b"\r\n\r\n":
         raise Damaged("content length does not hold")
-    block = buf[end + 4 : stop]
+    block = bytes(buf[end + 4 : stop])
     kind, _, want = headers.get("warc-block-digest", "").partition(":")
     if kind.lower() == "sha1" and want.upper() != digest(block):
         raise Damaged("block digest does not hold")
     return Piece(at, stop + 4, None, headers, block)
 
 
-def _member(buf: bytes, at: int) -> Piece:
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            if pos >= len(buf):
-                raise Damaged("member is cut off")
-            out.append(z.decompress(buf[pos : pos + 16384]))
-            pos += 16384
-    except zlib.error as x:
-        raise Damaged("member does not inflate") from x
-    stop = min(pos, len(buf)) - len(z.unused_data)
-    raw = b"".join(out)
-    got = parse(raw, 0)
-    if got.stop != len(raw):
-        raise Damaged("more than one record in a member")
-    return Piece(at, stop, None, got.headers, got.block)
-
-
-def salvage(buf: bytes) -> Iterator[Piece]:
+class _Member:
+    """Reads the records of the gzip member at `at` as it inflates.  Afterwards, stop is where it ends; reason tells what is
+    wrong with the member itself, and lost what is wrong with a record of it."""
+
+    def __init__(self, buf, at: int) -> None:
+        self.buf, self.at, self.stop = buf, at, at
+        self.reason: str | None = None
+        self.lost: str | None = None
+
+    def records(self) -> Iterator[Piece]:
+        z, raw, place, final = zlib.decompressobj(31), bytearray(), 0, False
+        while True:
+            while raw:
+                try:
+                    got = parse(raw, 0)
+                except Damaged as x:
+                    if isinstance(x, Short) and not final:
+                        break
+                    self.lost = self.lost or str(x)
+                    again = _VERSION_LINE.search(raw, 1)
+                    cut = again.start() if again else len(raw) if final else max(0, len(raw) - 16)
+                    if not cut:
+                        break
+                    place += cut
+                    del raw[:cut]
+                    continue
+                yield Piece(self.at, self.stop, None, got.headers, got.block, place)
+                place += got.stop
+                del raw[: got.stop]
+            if final:
+                return
+            if z.eof:
+                self.stop -= len(z.unused_data)
+                final = True
+            elif self.stop >= len(self.buf):
+                self.reason, final = "member is cut off", True
+            else:
+                part = self.buf[self.stop : self.stop + 65536]
+                self.stop += len(part)
+                try:
+                    raw += z.decompress(part)
+                except zlib.error:
+                    self.reason, final = "member does not inflate", True
+
+
+def _member(buf, at: int) -> Iterator[Piece]:
+    """The records of a member, and a gap where some are lost; raises Damaged, with those of its head, if it is damaged itself."""
+    m, held, size, given = _Member(buf, at), [], 0, False
+    for r in m.records():
+        held.append(r)
+        size += len(r.block)
+        if size > HELD:
+            yield from held
+            held, size, given = [], 0, True
+    if m.reason is not None or not (held or given):
+        raise Damaged(m.reason or m.lost or "member is empty", held)
+    for r in held:
+        r.stop = m.stop
+        yield r
+    if m.lost:
+        yield Piece(at, m.stop, m.lost)
+
+
+def salvage(archive: bytes) -> Iterator[Piece]:
     """All valid records of an archive in order, and the gaps between them; together they cover all bytes but padding."""
-    at, bad, reason = 0, None, None
+    buf = memoryview(archive).cast("B")
+    at, bad, reason, inside = 0, None, None, []
     while at < len(buf):
         if bad is None:
             at = _PAD.match(buf, at).end()
             if at >= len(buf):
                 return
+        pieces = _member(buf, at) if buf[at : at + 3] == _MAGIC else iter([at])
+        done = False
         try:
-            got = _member(buf, at) if buf.startswith(_MAGIC, at) else parse(buf, at)
+            for got in pieces:
+                got = parse(buf, at) if isinstance(got, int) else got
+                if bad is not None:
+                    yield Piece(bad, at, reason, inside=inside)
+                    bad, inside = None, []
+                yield got
+                done, last = True, got.stop
         except Damaged as x:
             if bad is None:
-                bad, reason = at, str(x)
+                bad, reason = at, str(x.args[0])
+            inside += x.args[1] if len(x.args) > 1 else []
             found = _START.search(buf, at + 1)
             at = found.start() if found else len(buf)
             continue
-        if bad is not None:
-            yield Piece(bad, at, reason)
-            bad = None
-        yield got
-        at = got.stop
+        if done:
+            at = last
     if bad is not None:
-        yield Piece(bad, len(buf), reason)
+        yield Piece(bad, len(buf), reason, inside=inside)
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, body_col: str, min_bytes: int) -> DataFrame:
@@ -164,32 +238,36 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, body_col: str, min
     return alone.unionByName(met)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 4, records_per_file: int = 5000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> None:
     """Write a record per row of pages into gzip archives under path.
 
     Of rows with equal payloads of at least min_bytes, that with the smallest id is the response and the others
     revisit it; rows repeated with that same id are responses as well.  Null payload: empty.  Null ids: never the
     smallest; where all ids of a payload are null, all rows are responses.  Null url: no target header.  Empty
-    table: no records.  Files hold records_per_file records at most, so that an archive fits in memory when it is read.
+    table: no records.  Files are rolled by bytes (PACK, PACKS), so that an archive fits in memory when it is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, held = [], 0  # members go on from batch to batch, so packs are full but for the last
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"\0".join(pack)], pa.binary())], ["pack"])
+
         for b in batches:
-            out, held = [], 0
             for i in range(b.num_rows):
                 key, url, payload, kind, to = (b.column(j)[i] for j in range(5))
                 raw = record(kind.as_py(), key.as_py() if key.is_valid else "", url.as_py(), payload.as_buffer().to_pybytes(), to.as_py(), date)
-                out.append(gzip_member(raw, level))
-                held += len(out[-1])
-                if held > 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                pack.append(gzip_member(raw, level))
+                held += len(pack[-1])
+                if held > PACK:
+                    yield packed()
+                    pack, held = [], 0
+        if pack:
+            yield packed()
 
     rows = plan_records(pages, id_col, url_col, body_col, min_bytes)
     rows = rows.select(F.col("id").cast("string"), F.col("url").cast("string"), "payload", "kind", F.col("refers_to").cast("string"))
-    rows.mapInArrow(run, "member binary").select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    rows.mapInArrow(run, "pack binary").select(F.col("pack").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", PACKS).text(path)
 
 
 def _http(block: bytes) -> tuple[int | None, bytes]:
@@ -201,36 +279,49 @@ def _http(block: bytes) -> tuple[int | None, bytes]:
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Records and gaps of all archives under path, plain or gzip, one row each.
 
-    kind is `record` or `gap`; start and stop are bytes of the file; reason says why a gap's first record failed.  Records
-    have record_type, record_id, refers_to, uri, payload_bytes and payload_digest (bare base32 SHA-1): of the payload read
+    kind is `record`, `gap`, or `salvaged`: a whole record, its block digest holding, from the head of a damaged member, within a
+    gap.  start and stop are bytes of the file, offset the place in the inflated member; reason says why a gap's first
+    record failed.  Records have record_type, record_id, refers_to, uri, payload_bytes and payload_digest (bare base32 SHA-1): of the payload read
     where there is one, else as the headers tell.  payloads adds the payload itself.  Empty files give no rows.
+    A file is one value of Spark's reader, so it must be smaller than 2 GiB; its records are inflated one by one.
     """
-    names = ["file", "kind", "start", "stop", "reason", "record_type", "record_id", "refers_to", "uri", "payload_bytes", "payload_digest", *(["payload"] if payloads else [])]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), *([pa.binary()] if payloads else [])]
+    names = ["file", "kind", "start", "stop", "offset", "reason", "record_type", "record_id", "refers_to", "uri", "payload_bytes", "payload_digest", *(["payload"] if payloads else [])]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), *([pa.binary()] if payloads else [])]
 
-    def row(name: str, p: Piece) -> tuple:
-        if p.reason is not None:
-            return (name, "gap", p.start, p.stop, p.reason, *[None] * (len(names) - 5))
+    def row(name: str, p: Piece, kind: str) -> tuple:
+        if kind == "gap":
+            return (name, kind, p.start, p.stop, 0, p.reason, *[None] * (len(names) - 6))
         h, told = p.headers, p.headers.get("warc-payload-digest", "").rpartition(":")[2] or None
         size, body = _http(p.block) if h.get("content-type", "").startswith("application/http") else (len(p.block), p.block)
         if h.get("warc-type") != "revisit":
             size, told = len(body), digest(body)
         bare = lambda x: x and re.sub(r"^<urn:record:(.*)>$", r"\1", x)
-        return (name, "record", p.start, p.stop, None, h.get("warc-type"), bare(h.get("warc-record-id")), bare(h.get("warc-refers-to")), h.get("warc-target-uri"), size, told, *([body] if payloads else []))
+        return (name, kind, p.start, p.stop, p.offset, None, h.get("warc-type"), bare(h.get("warc-record-id")), bare(h.get("warc-refers-to")), h.get("warc-target-uri"), size, told, *([body] if payloads else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 rows, held = [], 0
-                for p in salvage(content.as_buffer().to_pybytes()):
-                    rows.append(row(name.as_py(), p))
-                    held += len(p.block) if payloads else 100
+                for p in salvage(content.as_buffer()):
+                    rows.append(row(name.as_py(), p, "record" if p.reason is None else "gap"))
+                    rows += [row(name.as_py(), r, "salvaged") for r in p.inside]
+                    held += sum(len(r.block) for r in (p, *p.inside)) if payloads else 100
                     if held > 16_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    schema = "file string, kind string, start long, stop long, reason string, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string"
+    schema = "file string, kind string, start long, stop long, offset long, reason string, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string"
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     return files.mapInArrow(run, schema + (", payload binary" if payloads else ""))
+
+
+def gap_log(records: DataFrame, path: str) -> int:
+    """Write the gaps of read_warc as JSON lines under path (file, start, stop, reason) and tell of them; returns their number."""
+    gaps = records.where("kind = 'gap'").select("file", "start", "stop", "reason")
+    n, lost = gaps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    if n:
+        gaps.write.json(path)
+        logging.getLogger(__name__).warning("%d gaps of %d bytes are quarantined, see %s", n, lost, path)
+    return n

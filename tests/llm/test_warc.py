@@ -85,3 +85,55 @@ def test_headers_of_any_length(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([(1, url, "<p>1</p>"), (2, "http://x", "<p>2</p>")], "page_id long, url string, html string"), f"{tmp_path}/w")
     got = warc.read_warc(spark, f"{tmp_path}/w").collect()
     assert sorted((r.kind, r.record_id) for r in got) == [("record", "1"), ("record", "2")]
+
+
+def test_members_of_many_records():
+    raw = archive(20, packed=False)
+    whole = warc.gzip_member(b"".join(raw), 6)
+    ids, gaps = pieces(whole)
+    assert ids == [f"<urn:record:{i}>" for i in range(20)] and gaps == []
+    mixed = warc.gzip_member(b"".join(raw[:3]), 6) + warc.gzip_member(raw[3], 6) + raw[4]
+    assert pieces(mixed) == ([f"<urn:record:{i}>" for i in range(5)], [])
+    # a broken record inside a sound member costs itself only, and is told
+    bad = raw[1].replace(b"<p>1", b"<p>9")
+    ids, gaps = pieces(warc.gzip_member(raw[0] + bad + raw[2], 6) + warc.gzip_member(raw[3], 6))
+    assert ids == ["<urn:record:0>", "<urn:record:2>", "<urn:record:3>"] and len(gaps) == 1
+
+
+def test_head_of_a_cut_member_is_salvaged(spark, tmp_path):
+    rng = random.Random(7)
+    raw = [warc.record("response", str(i), f"http://x/{i}", bytes(rng.randrange(256) for _ in range(3000)), None, "2024-01-01T00:00:00Z") for i in range(40)]
+    whole = warc.gzip_member(b"".join(raw), 6)
+    got = list(warc.salvage(whole[: len(whole) // 2]))
+    assert len(got) == 1 and got[0].reason == "member is cut off" and (got[0].start, got[0].stop) == (0, len(whole) // 2)
+    assert [p.headers["warc-record-id"] for p in got[0].inside] == [f"<urn:record:{i}>" for i in range(len(got[0].inside))] and 15 <= len(got[0].inside) <= 20
+    hurt = bytearray(whole)
+    hurt[len(whole) // 2] ^= 0xFF
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(bytes(hurt) + warc.gzip_member(raw[0], 6))
+    rows = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
+    assert sum(r.kind == "record" for r in rows) == 1 and sum(r.kind == "gap" for r in rows) == 1 and 10 <= sum(r.kind == "salvaged" for r in rows) < 40
+    assert warc.gap_log(warc.read_warc(spark, f"file://{tmp_path}/a"), f"file://{tmp_path}/gaps") == 1
+    log = spark.read.json(f"file://{tmp_path}/gaps").first()
+    assert log.file.endswith("x.warc.gz") and log.start == 0 and log.stop == len(whole)
+
+
+def test_large_members_are_given_out_before_their_end(monkeypatch):
+    monkeypatch.setattr(warc, "HELD", 2000)
+    raw = archive(200, packed=False)
+    ids, gaps = pieces(warc.gzip_member(b"".join(raw), 6))
+    assert len(ids) == 200 and gaps == []
+
+
+def test_archives_are_rolled_by_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, None, "".join(chr(rng.randrange(33, 1000)) for _ in range(300_000))) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    from unittest import mock
+
+    with mock.patch.object(warc, "PACKS", 1):  # packs hold PACK bytes, so one a file makes files of about that size
+        warc.write_warc(df.unionAll(df.selectExpr("page_id + 100", "url", "concat(html, '!')")).unionAll(df.selectExpr("page_id + 200", "url", "concat(html, '?')")).coalesce(1), f"file://{tmp_path}/a")
+    files = [p.stat().st_size for p in (tmp_path / "a").glob("part-*")]
+    assert len(files) > 1 and max(files) < warc.PACK + 2_000_000
+    got = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
+    assert len(got) == 24 and {r.kind for r in got} == {"record"}
