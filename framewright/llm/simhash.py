@@ -6,10 +6,16 @@ first l segments differ in l * d / (3 d) = l / 3 bits at most: none in the first
 five, and so on.  The first five segments of such a chain hold one differing bit at most, so either the third
 segment agrees too, or the fourth and the fifth do: two exact keys per start find every chain.  Pairs that share
 a key must pass the whole chain condition and then the full Hamming check.
+
+near_copies links texts by the similarity of their shingle sets instead.  Sets of similarity 0.8 have fingerprints that
+differ in about ten bits of 64 and in twenty at times; with such a budget no run of the ring is both sure to agree and long
+enough to be a key.  There, candidates share a band of minimal shingle hashes, the ring with its proportional budgets
+prunes them by their fingerprints, and the sets themselves decide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,27 +24,42 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _bloom
 from ._components import components
-from ._util import durable
+from ._rows import HASH, ID, keyed
+from ._util import durable, release
 
 #: Distinct fingerprints that may share a key and still be paired; see `links`.
 PAIRED = 32
+#: Bands of minimal hashes, and hashes in a band: sets of similarity 0.8 share a band with probability 0.9993, those of 0.3 with 0.02.
+BANDS, ROWS = 24, 6
+#: Segments of the ring that prunes candidates.
+SEGMENTS = 16
 
 
-def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of UTF-8 text, repeats included; no words: 0."""
+def shingles(raw: bytes, words: int, seed: int) -> np.ndarray:
+    """Hashes of the word shingles of UTF-8 text, repeats included; fewer words are one shingle, no words none."""
     tokens = raw.lower().split()  # of bytes: A-Z only, and spaces are 0x20 and 0x09 to 0x0D
     if not tokens:
-        return 0
+        return np.zeros(0, dtype="<u8")
     grams = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, seed) for g in grams], dtype="<u8")
+    return np.array([digest(g, seed) for g in grams], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes, as a signed number."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little", signed=True)
 
 
+def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of UTF-8 text, repeats included; no words: 0."""
+    return majority(shingles(raw, words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, seed: int = 42, carry: str | None = None) -> DataFrame:
     """(id, fp, and carry, a long): fp is the fingerprint as a signed long."""
 
@@ -51,9 +72,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, se
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary"), (F.col(carry) if carry else F.lit(0)).cast("long")).mapInArrow(run, f"__id {kind}, fp long, carry long")
 
 
-def ring(distance: int) -> list[int]:
-    """Bit masks of the ring's segments."""
-    m = max(1, 3 * distance)
+def ring(distance: int, m: int | None = None) -> list[int]:
+    """Bit masks of the ring's segments, 3 * distance unless told."""
+    m = m or max(1, 3 * distance)
     cuts = [64 * i // m for i in range(m + 1)]
     return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -72,9 +93,10 @@ def key_masks(distance: int) -> list[int]:
     return out
 
 
-def viable(a: Column, b: Column, distance: int) -> Column:
-    """Whether a chain keeps within the budget at every length: l segments differ in l / 3 bits at most."""
-    seg, m = ring(distance), 3 * distance
+def viable(a: Column, b: Column, distance: int, m: int | None = None) -> Column:
+    """Whether a chain keeps within the budget at every length: l of m segments differ in l * distance / m bits at most."""
+    seg = ring(distance, m)
+    m = len(seg)
     x = a.bitwiseXOR(b)
     d = [F.bit_count(x.bitwiseAND(F.lit(_signed(s)))) for s in seg]
     some = F.lit(False)
@@ -138,3 +160,111 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         classes = classes.select("fp", F.col("fp").alias("root"), F.col("first").alias("component"))
     return fp.join(classes, "fp").select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"), F.col("root").alias("component"), *([F.col("carry").alias(carry)] if carry else []))
+
+
+def bits_for(similarity: float) -> int:
+    """Differing bits that fingerprints of two such sets keep within: the expected number and four deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(64, math.ceil(64 * p + 4 * math.sqrt(64 * p * (1 - p))))
+
+
+def _bands(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each band's minima over the shingle hashes h."""
+    low, least = h.astype(np.uint32), np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(low), 2048):
+        least = np.minimum(least, (low[at : at + 2048, None] * a + b).min(axis=0))
+    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        key = (key ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(id, hash, cls, fp, bands) of documents (id, hash, text): cls names the set of shingles, fp is its SimHash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(seed)
+        a = draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+        b = draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+        for batch in batches:
+            cls, fps, bands = [], [], []
+            for x in batch.column(2):
+                h = np.unique(shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed))
+                cls.append(xxhash.xxh64_intdigest(h.tobytes(), seed))
+                fps.append(majority(h))
+                bands.append(_bands(h ^ (h >> np.uint64(32)), a, b))
+            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+            off = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cls, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(off, flat)], ["id", "hash", "cls", "fp", "bands"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, hash long, cls long, fp long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(cls, s): the sorted set of shingle hashes of documents (cls, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed)) for x in b.column(1)]
+            off = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["cls", "s"])
+
+    return docs.mapInArrow(run, "cls long, s array<long>")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """One row per row of docs: its id, `text_hash` (as `keyed` gives it) and `component`, a number that rows share whose texts
+    are linked, over others or at once.
+
+    Two texts are linked if the sets of their shingles (`words` words, A-Z lower-cased; fewer words: the whole sequence) have a
+    Jaccard similarity of `similarity` at least.  Candidates share one of BANDS bands, which linked pairs miss with
+    probability 0.0007 at 0.8 and far less above; of those, the ring drops pairs whose fingerprints differ too much (about
+    1 of 30,000 linked ones); the sets decide.  In a band's bucket all are compared with the smallest first; only buckets that
+    then hold several components are looked at again, and there only pairs of different components, so groups of
+    copies of any size cost a pair a member.
+
+    Null, empty and blank texts: the empty set, one component.  Null ids, repeated rows, equal texts: linked by their
+    set and not compared.  Empty table: no rows.  Texts of any length are read whole.  Other columns are not read.
+    """
+    bits = bits_for(similarity)
+    d = keyed(docs, id_col, text_col)
+    rows = durable(sketches(d.select(F.col(ID).alias("id"), F.col(HASH).alias("hash"), F.col(text_col).cast("binary").alias("text")), words, seed), "near-sketches")
+    classes = rows.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    keys = classes.select("cls", "fp", F.explode("bands").alias("key"))
+    met = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.min_by("fp", "cls").alias("rep_fp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = durable(keys.join(met, "key"), "near-met")  # most bands are met by one set and end here
+
+    def close(a: str, b: str) -> Column:
+        return (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits) & viable(F.col(a), F.col(b), bits, SEGMENTS)
+
+    def linked(pairs: DataFrame, tag: str) -> DataFrame:
+        """Of pairs (a, b) of sets, those that are similar enough."""
+        pairs = durable(pairs, f"near-pairs-{tag}")
+        need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        order = F.struct(F.col("id").isNull(), "id", "hash")
+        chosen = durable(rows.join(need, "cls").groupBy("cls").agg(F.min_by(F.struct("id", "hash"), order).alias("r")).select("cls", "r.id", "r.hash"), f"near-chosen-{tag}")
+        key = F.xxhash64(ID, HASH)
+        some = _bloom.from_keys(chosen, F.xxhash64("id", "hash"), chosen.count(), f"near-filter-{tag}").maybe(d, key, "__maybe").where("__maybe")
+        texts = some.join(chosen, some[ID].eqNullSafe(chosen["id"]) & (some[HASH] == chosen["hash"])).select("cls", F.col(text_col).cast("binary").alias("text"))
+        sets = durable(shingle_sets(texts.dropDuplicates(["cls"]), words, seed), f"near-sets-{tag}")
+        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+        same = F.size(F.array_intersect("sa", "sb"))
+        return durable(both.where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"), f"near-links-{tag}")
+
+    stars = met.where("cls <> rep").where(close("fp", "rep_fp")).select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
+    first = linked(stars, "stars")
+    roots = durable(components(first), "near-roots")
+    named = durable(met.select("key", "cls", "fp").join(roots, met["cls"] == roots["node"], "left").select("key", "cls", "fp", F.coalesce("root", "cls").alias("root")), "near-named")
+    split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = durable(named.join(split, "key"), "near-left")
+    x, y = (left.select("key", F.col("cls").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("root").alias(f"{c}_root")) for c in "ab")
+    crossed = x.join(y, "key").where("a < b and a_root <> b_root").where(close("a_fp", "b_fp")).select("a", "b").distinct()
+    second = linked(crossed.join(durable(stars, "near-tried"), ["a", "b"], "left_anti"), "crossed")
+    roots = durable(components(first.unionByName(second)), "near-components")
+    for t in (met, named, left):
+        release(t)
+    out = rows.select("id", "hash", "cls").join(roots, rows["cls"] == roots["node"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.coalesce("root", "cls").alias("component"))

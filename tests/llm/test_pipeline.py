@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
-from framewright.llm import simhash, toxicity  # noqa: E402
+from framewright.llm import toxicity  # noqa: E402
 from framewright.llm._util import durable  # noqa: E402
 
 D = "/root/testdata/sf0.01"
@@ -34,19 +34,24 @@ def test_toxic_documents_go(spark, steps):
 
 def test_one_of_each_near_group_stays(steps):
     rows = steps[1].collect()
-    fps = [simhash.fingerprint((r.text or "").encode()) % (1 << 64) for r in rows]
+    sets = []
+    for r in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2 and group[i] != group[j]:
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] == group[j] or min(len(a), len(b)) * 5 < max(len(a), len(b)) * 4:
+                continue
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
     best = {}
     for r, g in zip(rows, group, strict=True):
         best.setdefault(g, []).append(r)
     want = {g: min((r.doc_id is None, r.doc_id or 0) for r in rs) for g, rs in best.items()}
     got = steps[2].collect()
-    assert len(got) == len(want)
+    assert len(got) == len(want) < len(rows)
     assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(want.values())
 
 

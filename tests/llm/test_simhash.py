@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -94,3 +95,53 @@ def test_empty_table_and_bad_distance(spark):
     assert simhash.near_dedup(empty).collect() == []
     with pytest.raises(ValueError):
         simhash.near_dedup(empty, distance=3)
+
+
+def near_groups(rows, words=5, similarity=0.8):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and (a == b or len(a & b) >= similarity * len(a | b)):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    return {frozenset(k for k, g in enumerate(group) if g == n) for n in set(group)}
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for _ in range(12):
+        text = [word() for _ in range(rng.choice([4, 9, 30, 120, 400]))]
+        for _ in range(rng.randint(1, 8)):
+            copy = list(text)
+            for _ in range(rng.randint(0, max(1, len(text) // 45))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+    passage = " ".join(word() for _ in range(60))  # documents that share half of their words are no copies
+    rows += [passage + " " + " ".join(word() for _ in range(60)) for _ in range(30)]
+    rows += [None, "", " \t", "one two", "One TWO", "one two three four five " * 40, "one two three four five " * 41]
+    rows += [rows[0]] * 3
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame([(None if i % 17 == 3 else i // 2, i, t) for i, t in rows], "doc_id int, at int, text string").withColumn("key", F.lit("clash"))
+    # ids repeat and are null, so rows are told by id and text
+    got = simhash.near_copies(df).withColumnRenamed("doc_id", "id").collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.component, []).append((r.id, r.text_hash))
+    told = {r["at"]: (r["doc_id"], r["h"]) for r in df.withColumn("h", F.xxhash64(F.lit(1), "text")).collect()}
+    want = sorted((sorted(map(repr, (told[i] for i in g))) for g in near_groups(rows)), key=repr)
+    assert sorted((sorted(map(repr, g)) for g in of.values()), key=repr) == want
+
+
+def test_near_copies_of_a_chain_and_of_nothing(spark):
+    words = [f"w{i}" for i in range(300)]
+    chain = [" ".join([*(f"x{j}" for j in range(i * 12)), *words[i * 12 :]]) for i in range(12)]  # neighbours are near, ends are not
+    rows = list(enumerate(chain))
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert len({r.component for r in got}) == len(near_groups(rows))
+    assert simhash.near_copies(spark.createDataFrame([], "doc_id int, text string")).collect() == []
