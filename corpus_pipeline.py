@@ -25,9 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints: that with the smallest id (nulls last), repeated rows once."""
+    """One document of each component of near copies (five words, similarity 0.8): that with the smallest id (nulls last), repeated rows once."""
     d = keyed(docs, "doc_id", "text")
-    found = durable(simhash.near_dedup(d, ID, "text", carry=HASH).select(ID, HASH, "component"), "pipeline-components")
+    found = simhash.near_copies(docs, "doc_id", "text").select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH), "component")
+    found = durable(found, "pipeline-components")
     order = F.struct(F.col(ID).isNull().alias("no"), F.col(ID).alias("id"), F.col(HASH).alias("hash"))
     stays = durable(found.groupBy("component").agg(F.min(order).alias("s")), "pipeline-stays")
     with_first = found.join(stays, "component")
