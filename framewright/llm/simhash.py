@@ -33,8 +33,8 @@ from ._util import durable, release
 PAIRED = 32
 #: Bands of minimal hashes, and hashes in a band: sets of similarity 0.8 share a band with probability 0.9993, those of 0.3 with 0.02.
 BANDS, ROWS = 24, 6
-#: Segments of the ring that prunes candidates.
-SEGMENTS = 16
+#: Segments of the ring that prunes candidates.  The condition is written out for each start and length, so they are few.
+SEGMENTS = 8
 
 
 def shingles(raw: bytes, words: int, seed: int) -> np.ndarray:
@@ -255,15 +255,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return durable(both.where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"), f"near-links-{tag}")
 
     stars = met.where("cls <> rep").where(close("fp", "rep_fp")).select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
-    first = linked(stars, "stars")
+    tried = durable(stars, "near-tried")
+    first = linked(tried, "stars")
     roots = durable(components(first), "near-roots")
     named = durable(met.select("key", "cls", "fp").join(roots, met["cls"] == roots["node"], "left").select("key", "cls", "fp", F.coalesce("root", "cls").alias("root")), "near-named")
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = durable(named.join(split, "key"), "near-left")
     x, y = (left.select("key", F.col("cls").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("root").alias(f"{c}_root")) for c in "ab")
     crossed = x.join(y, "key").where("a < b and a_root <> b_root").where(close("a_fp", "b_fp")).select("a", "b").distinct()
-    second = linked(crossed.join(durable(stars, "near-tried"), ["a", "b"], "left_anti"), "crossed")
-    roots = durable(components(first.unionByName(second)), "near-components")
+    second = linked(crossed.join(tried, ["a", "b"], "left_anti"), "crossed")
+    if not second.isEmpty():
+        roots = durable(components(first.unionByName(second)), "near-components")
     for t in (met, named, left):
         release(t)
     out = rows.select("id", "hash", "cls").join(roots, rows["cls"] == roots["node"], "left")
