@@ -33,6 +33,8 @@ from ._util import durable, release
 PAIRED = 32
 #: Bands of minimal hashes, and hashes in a band: sets of similarity 0.8 share a band with probability 0.9993, those of 0.3 with 0.02.
 BANDS, ROWS = 24, 6
+#: Sets in a bucket that are paired at once, and turns in which the sets of larger buckets are compared with one of them.
+SMALL, STARS = 4, 6
 #: Segments of the ring that prunes candidates.  The condition is written out for each start and length, so they are few.
 SEGMENTS = 8
 
@@ -222,9 +224,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two texts are linked if the sets of their shingles (`words` words, A-Z lower-cased; fewer words: the whole sequence) have a
     Jaccard similarity of `similarity` at least.  Candidates share one of BANDS bands, which linked pairs miss with
     probability 0.0007 at 0.8 and far less above; of those, the ring drops pairs whose fingerprints differ too much (about
-    1 of 30,000 linked ones); the sets decide.  In a band's bucket all are compared with the smallest first; only buckets that
-    then hold several components are looked at again, and there only pairs of different components, so groups of
-    copies of any size cost a pair a member.
+    1 of 30,000 linked ones); the sets decide.  In a bucket of more than SMALL sets all are compared with one of them, another
+    one each turn; what is linked to it drops out.  After STARS turns, only pairs of sets that are still in different
+    components of a bucket are compared, so groups of copies of any size cost a few pairs a member, and no link is lost.
 
     Null, empty and blank texts: the empty set, one component.  Null ids, repeated rows, equal texts: linked by their
     set and not compared.  Empty table: no rows.  Texts of any length are read whole.  Other columns are not read.
@@ -234,39 +236,62 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = durable(sketches(d.select(F.col(ID).alias("id"), F.col(HASH).alias("hash"), F.col(text_col).cast("binary").alias("text")), words, seed), "near-sketches")
     classes = rows.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     keys = classes.select("cls", "fp", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.min_by("fp", "cls").alias("rep_fp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = durable(keys.join(met, "key"), "near-met")  # most bands are met by one set and end here
 
+    need = durable(met.select("cls").distinct(), "near-need")
+    order = F.struct(F.col("id").isNull(), "id", "hash")
+    chosen = durable(rows.join(need, "cls").groupBy("cls").agg(F.min_by(F.struct("id", "hash"), order).alias("r")).select("cls", "r.id", "r.hash"), "near-chosen")
+    key = F.xxhash64(ID, HASH)
+    some = _bloom.from_keys(chosen, F.xxhash64("id", "hash"), chosen.count(), "near-filter").maybe(d, key, "__maybe").where("__maybe")
+    texts = some.join(chosen, some[ID].eqNullSafe(chosen["id"]) & (some[HASH] == chosen["hash"])).select("cls", F.col(text_col).cast("binary").alias("text"))
+    sets = durable(shingle_sets(texts.dropDuplicates(["cls"]), words, seed), "near-sets")
+
     def close(a: str, b: str) -> Column:
         return (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits) & viable(F.col(a), F.col(b), bits, SEGMENTS)
 
-    def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        """Of pairs (a, b) of sets, those that are similar enough."""
-        pairs = durable(pairs, f"near-pairs-{tag}")
-        need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        order = F.struct(F.col("id").isNull(), "id", "hash")
-        chosen = durable(rows.join(need, "cls").groupBy("cls").agg(F.min_by(F.struct("id", "hash"), order).alias("r")).select("cls", "r.id", "r.hash"), f"near-chosen-{tag}")
-        key = F.xxhash64(ID, HASH)
-        some = _bloom.from_keys(chosen, F.xxhash64("id", "hash"), chosen.count(), f"near-filter-{tag}").maybe(d, key, "__maybe").where("__maybe")
-        texts = some.join(chosen, some[ID].eqNullSafe(chosen["id"]) & (some[HASH] == chosen["hash"])).select("cls", F.col(text_col).cast("binary").alias("text"))
-        sets = durable(shingle_sets(texts.dropDuplicates(["cls"]), words, seed), f"near-sets-{tag}")
+    def crossed(side: DataFrame) -> DataFrame:
+        """Pairs of sets of one bucket that are in different components."""
+        x, y = (side.select("key", F.col("cls").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("root").alias(f"{c}_root")) for c in "ab")
+        return x.join(y, "key").where("a < b and a_root <> b_root").where(close("a_fp", "b_fp")).select("a", "b", "a_root", "b_root").distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, a_root, b_root), the roots of those whose sets are similar enough."""
+        pairs = durable(pairs, "near-pairs")
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
         same = F.size(F.array_intersect("sa", "sb"))
-        return durable(both.where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"), f"near-links-{tag}")
-
-    stars = met.where("cls <> rep").where(close("fp", "rep_fp")).select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
-    tried = durable(stars, "near-tried")
-    first = linked(tried, "stars")
-    roots = durable(components(first), "near-roots")
-    named = durable(met.select("key", "cls", "fp").join(roots, met["cls"] == roots["node"], "left").select("key", "cls", "fp", F.coalesce("root", "cls").alias("root")), "near-named")
-    split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = durable(named.join(split, "key"), "near-left")
-    x, y = (left.select("key", F.col("cls").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("root").alias(f"{c}_root")) for c in "ab")
-    crossed = x.join(y, "key").where("a < b and a_root <> b_root").where(close("a_fp", "b_fp")).select("a", "b").distinct()
-    second = linked(crossed.join(tried, ["a", "b"], "left_anti"), "crossed")
-    if not second.isEmpty():
-        roots = durable(components(first.unionByName(second)), "near-components")
-    for t in (met, named, left):
-        release(t)
-    out = rows.select("id", "hash", "cls").join(roots, rows["cls"] == roots["node"], "left")
+        out = durable(both.where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "near-links")
+        release(pairs)
+        return out
+
+    def joined(side: DataFrame, links: DataFrame) -> DataFrame:
+        """side with the roots that the links leave."""
+        to = durable(components(links), "near-roots").withColumnsRenamed({"node": "__node", "root": "__root"})
+        return side.join(to, side["root"] == to["__node"], "left").withColumn("root", F.coalesce("__root", "root")).drop("__node", "__root")
+
+    def split(side: DataFrame) -> DataFrame:
+        """Buckets that hold more than one component."""
+        some = side.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo < __hi").select("key")
+        return side.join(some, "key")
+
+    live = met.withColumn("root", F.col("cls"))
+    links = [linked(crossed(live.where(F.col("n") <= SMALL)))]
+    roots = joined(need.withColumn("root", F.col("cls")), links[0])
+    live = durable(split(joined(live.where(F.col("n") > SMALL), links[0])), "near-live")
+    for turn in range(STARS):
+        if live.isEmpty():
+            break
+        # all are compared with one of their bucket, another one each turn; those that are linked drop out
+        first = live.groupBy("key").agg(F.min_by(F.struct("cls", "fp", "root"), F.xxhash64(F.lit(turn), "cls")).alias("r"))
+        stars = live.join(first, "key").where("root <> r.root").withColumn("r_fp", F.col("r.fp")).where(close("fp", "r_fp"))
+        found = linked(stars.select(F.col("r.cls").alias("a"), F.col("cls").alias("b"), F.col("r.root").alias("a_root"), F.col("root").alias("b_root")).distinct())
+        roots, before = joined(roots, found), live
+        live = durable(split(joined(live, found)), "near-live")
+        release(before)
+    if not live.isEmpty():
+        roots = joined(roots, linked(crossed(live)))
+    roots = durable(roots, "near-components")
+    release(met)
+    release(sets)
+    out = rows.select("id", "hash", "cls").join(roots.withColumnRenamed("cls", "__cls"), F.col("cls") == F.col("__cls"), "left")
     return out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.coalesce("root", "cls").alias("component"))
