@@ -35,7 +35,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, stratum: str | None = "sour
     tie = [F.col("__id"), *[F.col(f"__c_{k}") for k in carry]]
     per = durable(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "shard-strata")  # its size is known: no shuffle by stratum where it is small
     ranked = spread_rank(rows.join(per, "__key"), ["__key"], "__n", tie, seed, "__rank", target)
-    # the fraction as an integer: (2 r + 1) / 2 n scaled to 2**31, so that equal fractions compare equal
+    # (2 r + 1) / 2 n: the middle of the row's share of its source, as a double
     ranked = ranked.withColumn("__f", (F.col("__rank") * 2 + 1) / (F.col("__n") * 2))
     ranked = durable(ranked.withColumn("__all", F.lit(0)), "shard-ranked")
     total = ranked.agg(F.count(F.lit(1)).alias("n")).first()["n"]

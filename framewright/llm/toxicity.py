@@ -4,6 +4,9 @@ Obfuscated spellings (digits and symbols for letters, separators, repeated or sp
 noisy channel.  Each suspicious token opens a lattice of letters that may stand behind its characters; Viterbi search
 under a character trigram model, counted over all documents, restores it.  Words of the restored text, and their
 beginnings, are scored by logistic regression.
+
+The search keeps STATES states of a lattice at each character.  Tokens of more than PIECE characters are decoded in pieces that
+overlap by PIECE - STEP, and words that end inside a run of spaced letters have RUN letters at most.
 """
 
 from __future__ import annotations
@@ -42,6 +45,10 @@ SWAP, WILD, DROP, DROP_LEET, REPEAT = -1.0, -3.3, -0.8, -7.0, -0.5
 PIECE, STEP = 64, 40
 #: Symbols of the trigram model: 0 stands for a boundary, 1 to 26 for letters, 27 for other ASCII, the rest for other characters by code point.
 SYMBOLS = 64
+#: States of a lattice that go on from a character; a state is the last two letters.
+STATES = 48
+#: Letters of a word that ends inside a run of spaced letters.
+RUN = 16
 #: Lengths of word beginnings that are features, besides the whole word.
 BEGINNINGS = range(4, 9)
 #: Weight of a row that counts with a part of its features.
@@ -139,7 +146,7 @@ class Restorer:
                     else:
                         step, to = cost, (a, b)
                     new.setdefault(to, []).extend((p + step, t + letter) for p, t in paths)
-            kept = sorted(new.items(), key=lambda x: -max(x[1])[0])[:48]
+            kept = sorted(new.items(), key=lambda x: -max(x[1])[0])[:STATES]
             states = {k: sorted(set(v), reverse=True)[:best] for k, v in kept}
         ends = [(p + log[a * two + b * SYMBOLS], t) for (a, b), paths in states.items() for p, t in paths]
         return [t for _, t in sorted(ends, reverse=True)[:best]]
@@ -197,7 +204,7 @@ def features(words: set[str], runs: set[str], heads: set[str] | None = None) ->
             out.update(w[:k] for k in BEGINNINGS if k < len(w))
     for r in runs:  # a word may also end inside a run
         for i in range(len(r)):
-            out.update(r[i:j] + "$" for j in range(i + 3, min(len(r), i + 16) + 1) if heads is None or r[i : i + 4] in heads or r[i:j] in heads)
+            out.update(r[i:j] + "$" for j in range(i + 3, min(len(r), i + RUN) + 1) if heads is None or r[i : i + 4] in heads or r[i:j] in heads)
     return out
 
 
@@ -280,7 +287,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, trained: tuple[np.ndarray, dict[str, float], float], text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the column `out`: the probability that the restored text is toxic.  Null and empty texts get the bias alone."""
+    """docs with the column `out`: the probability that the restored text is toxic.  Null and empty texts get the bias alone.
+
+    A column named `out` in docs raises ValueError.
+    """
+    if out in docs.columns:
+        raise ValueError(f"docs have a column {out!r} already")
     shared = docs.sparkSession.sparkContext.broadcast(trained)
     names = docs.columns
     place = names.index(text_col)

@@ -50,3 +50,44 @@ def test_labels_of_held_out_rows_are_never_used(spark):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, flipped)
     assert np.array_equal(a[0], b[0]) and a[1:] == b[1:]
+
+
+def brute_viterbi(r, token):
+    """The likeliest letter string by trying every path through the lattice."""
+    two, best = toxicity.SYMBOLS * toxicity.SYMBOLS, []
+
+    def go(i, a, b, cost, text):
+        if i == len(token):
+            best.append((cost + r.log[a * two + b * toxicity.SYMBOLS], text))
+            return
+        c = token[i]
+        if c.isalpha():
+            options = [(c, 0.0)] + ([("", toxicity.REPEAT)] if i and token[i - 1] == c else [])
+        else:
+            options = [(x, toxicity.SWAP) for x in toxicity.LEET.get(c, "")] + ([(chr(97 + x), toxicity.WILD) for x in range(26)] if c in toxicity.ANY else [])
+            options.append(("", toxicity.DROP_LEET if c in toxicity.LEET else toxicity.DROP))
+        for letter, step in options:
+            if letter:
+                s = r._symbol(letter)
+                go(i + 1, b, s, cost + step + r.log[a * two + b * toxicity.SYMBOLS + s], text + letter)
+            else:
+                go(i + 1, a, b, cost + step, text)
+
+    go(0, 0, 0, 0.0, "")
+    return max(best)[1]
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    counts = np.zeros(toxicity.SYMBOLS**3, dtype=np.int64)
+    for text in ["the idiot said hello to all these people and the silly goose", "an idiot is a silly person", "hello there"] * 3:
+        s = toxicity.symbols(text)
+        np.add.at(counts, s[:-2] * (toxicity.SYMBOLS * toxicity.SYMBOLS) + s[1:-1] * toxicity.SYMBOLS + s[2:], 1)
+    r = toxicity.Restorer(toxicity.log_model(counts))
+    for token in ["1d10t", "h3ll0", "i.d.i.o.t", "s1lly", "iiddiioott", "id*ot", "$illy", "g00se", *("".join(rng.choice("idot1l0.*3s") for _ in range(7)) for _ in range(60))]:
+        if token.count("*") < 3:
+            assert r.viterbi(token)[0] == brute_viterbi(r, token), token
