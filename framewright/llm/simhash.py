@@ -264,9 +264,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         release(pairs)
         return out
 
-    def joined(side: DataFrame, links: DataFrame) -> DataFrame:
-        """side with the roots that the links leave."""
-        to = durable(components(links), "near-roots").withColumnsRenamed({"node": "__node", "root": "__root"})
+    def merged(links: DataFrame) -> DataFrame:
+        return durable(components(links), "near-roots").withColumnsRenamed({"node": "__node", "root": "__root"})
+
+    def joined(side: DataFrame, to: DataFrame) -> DataFrame:
+        """side with the roots that merged links leave."""
         return side.join(to, side["root"] == to["__node"], "left").withColumn("root", F.coalesce("__root", "root")).drop("__node", "__root")
 
     def split(side: DataFrame) -> DataFrame:
@@ -275,21 +277,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return side.join(some, "key")
 
     live = met.withColumn("root", F.col("cls"))
-    links = [linked(crossed(live.where(F.col("n") <= SMALL)))]
-    roots = joined(need.withColumn("root", F.col("cls")), links[0])
-    live = durable(split(joined(live.where(F.col("n") > SMALL), links[0])), "near-live")
+    to = merged(linked(crossed(live.where(F.col("n") <= SMALL))))
+    roots = joined(need.withColumn("root", F.col("cls")), to)
+    live = durable(split(joined(live.where(F.col("n") > SMALL), to)), "near-live")
     for turn in range(STARS):
         if live.isEmpty():
             break
         # all are compared with one of their bucket, another one each turn; those that are linked drop out
         first = live.groupBy("key").agg(F.min_by(F.struct("cls", "fp", "root"), F.xxhash64(F.lit(turn), "cls")).alias("r"))
         stars = live.join(first, "key").where("root <> r.root").withColumn("r_fp", F.col("r.fp")).where(close("fp", "r_fp"))
-        found = linked(stars.select(F.col("r.cls").alias("a"), F.col("cls").alias("b"), F.col("r.root").alias("a_root"), F.col("root").alias("b_root")).distinct())
-        roots, before = joined(roots, found), live
-        live = durable(split(joined(live, found)), "near-live")
+        to = merged(linked(stars.select(F.col("r.cls").alias("a"), F.col("cls").alias("b"), F.col("r.root").alias("a_root"), F.col("root").alias("b_root")).distinct()))
+        roots, before = joined(roots, to), live
+        live = durable(split(joined(live, to)), "near-live")
         release(before)
     if not live.isEmpty():
-        roots = joined(roots, linked(crossed(live)))
+        roots = joined(roots, merged(linked(crossed(live))))
     roots = durable(roots, "near-components")
     release(met)
     release(sets)
