@@ -34,7 +34,7 @@ PAIRED = 32
 #: Bands of minimal hashes, and hashes in a band: sets of similarity 0.8 share a band with probability 0.9993, those of 0.3 with 0.02.
 BANDS, ROWS = 24, 6
 #: Sets in a bucket that are paired at once, and turns in which the sets of larger buckets are compared with one of them.
-SMALL, STARS = 4, 6
+SMALL, STARS = 4, 4
 #: Segments of the ring that prunes candidates.  The condition is written out for each start and length, so they are few.
 SEGMENTS = 8
 
@@ -287,7 +287,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = live.groupBy("key").agg(F.min_by(F.struct("cls", "fp", "root"), F.xxhash64(F.lit(turn), "cls")).alias("r"))
         stars = live.join(first, "key").where("root <> r.root").withColumn("r_fp", F.col("r.fp")).where(close("fp", "r_fp"))
         to = merged(linked(stars.select(F.col("r.cls").alias("a"), F.col("cls").alias("b"), F.col("r.root").alias("a_root"), F.col("root").alias("b_root")).distinct()))
-        roots, before = joined(roots, to), live
+        roots, before = durable(joined(roots, to), "near-roots"), live
         live = durable(split(joined(live, to)), "near-live")
         release(before)
     if not live.isEmpty():
