@@ -34,9 +34,11 @@ PAIRED = 32
 #: Bands of minimal hashes, and hashes in a band: sets of similarity 0.8 share a band with probability 0.9993, those of 0.3 with 0.02.
 BANDS, ROWS = 24, 6
 #: Sets in a bucket that are paired at once, and turns in which the sets of larger buckets are compared with one of them.
-SMALL, STARS = 4, 4
+SMALL, STARS = 4, 2
 #: Segments of the ring that prunes candidates.  The condition is written out for each start and length, so they are few.
 SEGMENTS = 8
+#: Cells of the table of shingle counts that puts rare shingles first in `prefixes`; shingles that share one are only ordered worse.
+CELLS = 1 << 22
 
 
 def shingles(raw: bytes, words: int, seed: int) -> np.ndarray:
@@ -217,6 +219,115 @@ def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "cls long, s array<long>")
 
 
+def _size_class(n: int) -> tuple[int, int]:
+    """The least size of n's class, and the least one of the next: sizes that agree in their first four bits."""
+    step = 1 << max(0, n.bit_length() - 4)
+    return n // step * step, (n // step + 1) * step
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """Magnitude (bits of the count) of each cell of shingles of sets (s), as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(CELLS)
+            cell, k = np.unique(flat, return_counts=True)
+            n[cell] += k
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["cell", "n"])
+
+    cells = sets.select("s").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    found = cells.select("cell", F.length(F.bin("n")).cast("byte").alias("level")).toArrow()  # CELLS rows of 9 bytes at most
+    out = np.ones(CELLS, dtype=np.uint8)
+    out[found["cell"].to_numpy()] = found["level"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, cls, root, n, pos, low) of sets (cls, root, s): their n shingles that may be the first one shared with a similar set.
+
+    Shingles are put in one order, rare ones first.  Where sets share k shingles, the first one that they share has k - 1 others behind it
+    in both, so it stands early in both: only a prefix of each set is looked at, a shorter one the nearer the other set's size is.
+    A key is a shingle and a class of sizes; the smaller set of a pair is `low` there, the other one names all classes of smaller
+    sets.  Only keys at which roots and roles differ are returned.
+    """
+    share = similarity / (1 + similarity)
+    level = sets.sparkSession.sparkContext.broadcast(_levels(sets))
+
+    def needed(n: int) -> int:
+        return math.ceil(share * n - 1e-6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                row, key, pos, low = [], [], [], []
+                size = np.array([len(x) for x in part.column(2)], dtype=np.int64)
+                for i, x in enumerate(part.column(2)):
+                    n, s = int(size[i]), x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    if not n:
+                        continue
+                    rank = level.value[s % np.uint64(CELLS)]
+                    order = np.lexsort((s, rank))
+                    s, rank = s[order], rank[order]
+                    own, least = _size_class(n)[0], max(1, math.ceil(similarity * n - 1e-6))
+                    at, ends = _size_class(least), [(own, needed(2 * n), True)]
+                    while at[0] <= n:
+                        ends.append((at[0], needed(max(at[0], least) + n), False))
+                        at = _size_class(at[1])
+                    for of, need, is_low in ends:
+                        p = np.flatnonzero(rank[: n - need + 1] > 1)  # a shingle that is alone in its cell meets none
+                        row.append(np.full(len(p), i))
+                        key.append((s[p] ^ np.uint64(of)) * np.uint64(0x9E3779B97F4A7C15))
+                        pos.append(p)
+                        low.append(np.full(len(p), is_low))
+                if row and sum(map(len, row)):
+                    take = np.concatenate(row)
+                    cols = [pa.array(np.concatenate(key).view(np.int64)), part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)), pa.array(size[take]), pa.array(np.concatenate(pos).astype(np.int64)), pa.array(np.concatenate(low))]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "cls", "root", "n", "pos", "low"])
+
+    rows = durable(sets.select("cls", "root", "s").mapInArrow(run, "key long, cls long, root long, n long, pos long, low boolean"), "near-prefixes")
+    some = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("low").alias("none"), F.max("low").alias("any")).where("lo < hi and none <> any").select("key")
+    met = durable(rows.join(some, "key"), "near-prefixes-met")
+    release(rows)
+    return met
+
+
+def _room(x: str, y: str, similarity: float) -> Column:
+    """Whether enough shingles stand behind the positions where two sets meet."""
+    n, pos = (lambda side: F.col(f"{side}_n")), (lambda side: F.col(f"{side}_pos"))
+    return F.least(n(x) - pos(x), n(y) - pos(y)) >= F.lit(similarity / (1 + similarity)) * (n(x) + n(y)) - 1e-6
+
+
+def _told(met: DataFrame, side: str) -> DataFrame:
+    return met.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "root", "n", "pos", "low")])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    first = F.col("x_cls") < F.col("y_cls")
+    pick = lambda c, one, other: F.when(first, F.col(f"{one}_{c}")).otherwise(F.col(f"{other}_{c}"))
+    return met.select(*[pick(c, *ends).alias(out + tail) for c, tail in (("cls", ""), ("root", "_root")) for out, ends in (("a", "xy"), ("b", "yx"))]).distinct()
+
+
+def starred(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, a_root, b_root): each set of prefixes with the one of each of its keys that has the fewest rare shingles, if roots differ."""
+    center = met.groupBy("key").agg(F.min_by(F.struct("cls", "root", "n", "pos"), F.struct("pos", "cls")).alias("c"))
+    center = center.select("key", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("cls", "root", "n", "pos")])
+    return _pairs(_told(met, "x").join(center, "key").where("x_root <> y_root").where(_room("x", "y", similarity)))
+
+
+def across(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, a_root, b_root): of prefixes, every pair of sets with different roots whose similarity may suffice.
+
+    At a key, the members of the root that has most of them are not paired with each other.
+    """
+    tops = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("root", "k").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "top")
+    met = durable(met.join(tops, "key"), "near-across")
+    both = _told(met.where("root <> top"), "x").join(_told(met, "y"), "key").where("x_root <> y_root and x_low <> y_low and if(x_low, x_n <= y_n, y_n <= x_n)")
+    return _pairs(both.where(_room("x", "y", similarity)))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row per row of docs: its id, `text_hash` (as `keyed` gives it) and `component`, a number that rows share whose texts
     are linked, over others or at once.
@@ -225,8 +336,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Jaccard similarity of `similarity` at least.  Candidates share one of BANDS bands, which linked pairs miss with
     probability 0.0007 at 0.8 and far less above; of those, the ring drops pairs whose fingerprints differ too much (about
     1 of 30,000 linked ones); the sets decide.  In a bucket of more than SMALL sets all are compared with one of them, another
-    one each turn; what is linked to it drops out.  After STARS turns, only pairs of sets that are still in different
-    components of a bucket are compared, so groups of copies of any size cost a few pairs a member, and no link is lost.
+    one each turn; what is linked to it drops out.  After STARS turns, the sets of buckets that still hold different
+    components meet by their rarest shingles: once with the one that has the fewest rare ones, then with every set of another
+    component that may be similar enough.  So groups of copies cost a few pairs a member, also where the members are not similar
+    enough to each other, and no link is lost.
 
     Null, empty and blank texts: the empty set, one component.  Null ids, repeated rows, equal texts: linked by their
     set and not compared.  Empty table: no rows.  Texts of any length are read whole.  Other columns are not read.
@@ -291,7 +404,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         live = durable(split(joined(live, to)), "near-live")
         release(before)
     if not live.isEmpty():
-        roots = joined(roots, merged(linked(crossed(live))))
+        left = durable(live.select("cls", "root").distinct().join(sets, "cls").select("cls", "root", "s"), "near-left")
+        shared = prefixes(left, similarity)
+        to = merged(linked(starred(shared, similarity)))
+        roots = durable(joined(roots, to), "near-roots")
+        roots = joined(roots, merged(linked(across(joined(shared, to), similarity))))
     roots = durable(roots, "near-components")
     release(met)
     release(sets)

@@ -145,3 +145,41 @@ def test_near_copies_of_a_chain_and_of_nothing(spark):
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id int, text string")).collect()
     assert len({r.component for r in got}) == len(near_groups(rows))
     assert simhash.near_copies(spark.createDataFrame([], "doc_id int, text string")).collect() == []
+
+
+def test_copies_that_are_not_near_enough_are_not_compared_in_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(400):  # some link to each other, most differ from all others in a little too much
+        copy = list(base)
+        for p in rng.sample(range(150), rng.choice([1, 2, 4, 5, 6, 8, 10])):
+            copy[p] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy[: rng.choice([150, 150, 140, 130])])))
+    compared, durable = [], simhash.durable
+
+    def seen(df, tag):
+        out = durable(df, tag)
+        if tag == "near-pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "durable", seen)
+    of = {}
+    for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        of.setdefault(r.component, []).append(r.doc_id)
+    assert set(map(frozenset, of.values())) == near_groups(rows) and len(of) > 200
+    assert sum(compared) < 25 * len(rows), compared
+
+
+@pytest.mark.parametrize("cells", [1, 64, 1 << 22])
+def test_prefixes_lose_no_pair(spark, monkeypatch, cells):
+    monkeypatch.setattr(simhash, "CELLS", cells)
+    rng, sets = random.Random(2), []
+    for _ in range(40):
+        base = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.choice([1, 2, 5, 9, 20, 60]))]
+        for _ in range(5):
+            sets.append(sorted({*rng.sample(base, max(1, len(base) - rng.randrange(4))), *(rng.randrange(1 << 60) for _ in range(rng.randrange(3)))}))
+    df = spark.createDataFrame([(i, i // 2, s) for i, s in enumerate(sets)], "cls long, root long, s array<long>")
+    near = {(i, j) for j, b in enumerate(map(set, sets)) for i, a in enumerate(map(set, sets[:j])) if i // 2 != j // 2 and len(a & b) >= 0.8 * len(a | b)}
+    got = {(r.a, r.b) for r in simhash.across(simhash.prefixes(df, 0.8), 0.8).collect()}
+    assert near <= got and len(near) > 50
