@@ -50,26 +50,32 @@ def clean(spark: SparkSession) -> None:
 #: Bytes of an Arrow batch that goes to a Python worker while a durable table is written.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+#: Whether the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    Texts go to Python in batches of BATCH_BYTES, so that workers stay small however long documents are; the session's
-    own setting comes back afterwards.  This cuts the lineage: a lost executor costs only the tasks that ran on it, and several later steps
+    Texts go to Python in batches of BATCH_BYTES, so that workers stay small however long documents are.  The shuffle files of the
+    write go as soon as the table stands, not when the driver happens to collect garbage.  The session's
+    own settings come back afterwards.  This cuts the lineage: a lost executor costs only the tasks that ran on it, and several later steps
     read the table without computing it again.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    before = spark.conf.get(BATCH, None)
-    spark.conf.set(BATCH, str(BATCH_BYTES))
+    ours = {BATCH: str(BATCH_BYTES), CLEANUP: "true"}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(BATCH)
-        else:
-            spark.conf.set(BATCH, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._framewright_path = path
     return out
